@@ -159,7 +159,7 @@ LINK_SQL = """ents AS MATERIALIZED (SELECT DISTINCT lower(w) AS text FROM (
    SELECT unnest(regexp_extract_all(text, '\\p{L}{5,}')) AS w FROM conversations)),
 names AS MATERIALIZED (SELECT DISTINCT lower(w) AS name FROM (
    SELECT unnest(regexp_extract_all(text, '\\p{L}{3,}')) AS w FROM benchmark)),
-links AS MATERIALIZED (SELECT name, arg_min(text, (-least(length(name), length(text)), text)) AS entity
+links AS MATERIALIZED (SELECT name, arg_min(text, (name <> text, -least(length(name), length(text)), text)) AS entity
   FROM names JOIN ents ON contains(text, name) OR contains(name, text) GROUP BY name)"""
 
 
