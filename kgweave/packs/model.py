@@ -53,6 +53,9 @@ class DomainPack:
     lexicon: tuple                              # (term, type, confidence)
     formula_patterns: tuple                     # whole-match mention patterns
     formula_confidence: float = 0.8
+    markup_keep: str | None = None              # what cleaning keeps before annotation; None: keep
+    annotation_formulas: tuple | None = None    # formulas of training rows; None: formula_patterns
+    annotation_theorems: tuple = ()             # (before, name, after)
     context_keywords: tuple = ()                # (keyword, type)
     context_patterns: tuple = ()                # templates with {kw}; group 1 is the concept
     tag_rules: tuple = ()                       # tokeniser default: (token regex, tag)
