@@ -110,6 +110,21 @@ def extract_relations(spark, d):
     return triple_rows(R.extract_relations(I.mentions(spark, d), PROSE), F.col("triples"))
 
 
+@query("extract_nested_relations", f"""WITH RECURSIVE {RELATIONS}
+SELECT doc_id, chunk_no, coalesce(n, 0)::INT AS n_entities, coalesce(names, '') AS entities, coalesce(k, 0)::INT AS n_relations,
+  coalesce(triples, '') AS relations
+FROM chunks LEFT JOIN (SELECT doc_id, chunk_no, count(*) AS n, string_agg(text, '|' ORDER BY seq) AS names
+  FROM mentions GROUP BY ALL) USING (doc_id, chunk_no)
+LEFT JOIN (SELECT doc_id, chunk_no, count(*) AS k, string_agg(subject || '>' || relation || '>' || object, '|' ORDER BY seq) AS triples
+  FROM relations GROUP BY ALL) USING (doc_id, chunk_no)""")
+def extract_nested_relations(spark, d):
+    rows = build.nested_result(R.extract_relations(I.mentions(spark, d), PROSE))
+    return rows.select(
+        "doc_id", "chunk_no", F.size("entities").alias("n_entities"), F.array_join("entities.text", "|").alias("entities"),
+        F.size("relations").alias("n_relations"),
+        F.array_join(F.transform("relations", lambda t: F.concat_ws(">", t["subject"], t["relation"], t["object"])), "|").alias("relations"))
+
+
 @query("link_in_chunk", f"""WITH RECURSIVE {S.MENTIONS},
 caught AS MATERIALIZED (SELECT doc_id, chunk_no, hit AS a, min(k) AS k FROM {S.spans('chunks', S.KEYS, r"[a-z]{5,8}ble")}
   GROUP BY ALL)
