@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from kgweave.llm.common import attach, keep
 
 #: Turns that a container may hold before it bursts, and nodes of a path that are emitted at once.
-LIMIT, SLICE = 1 << 14, 1 << 16
+LIMIT, SLICE = 1 << 12, 1 << 16
 #: Conversations of one path whose ids travel as one row: those that share the id divided by this.
 BLOCK = 1 << 10
 ID = 16
