@@ -152,3 +152,17 @@ def test_every_pair_is_scored_once_and_reaches_the_graph(spark):
 
     assert "model" in {x[2] for x in edges(make_scorer=always)}
     assert "model" not in {x[2] for x in edges()}
+
+
+def test_grams_of_small_files_do_not_pass_through_the_driver(spark):
+    from kgweave.operators import linking
+    from kgweave.runtime import cut_lineage
+
+    words = cut_lineage(spark.range(300).selectExpr("concat('part ', id) as entity"))
+    keys = cut_lineage(spark.createDataFrame([("art 2",), ("zz",), ("the part 7 here",)], "keyword string"))
+    found = linking.keyword_matches(keys, words)
+    # the planner sees files of a few kilobytes and would broadcast what is made of them, however much that is
+    assert "BroadcastExchange" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {tuple(r) for r in found.where("keyword like 'the%'").collect()} == {("the part 7 here", "part 7")}
+    assert found.where("keyword = 'art 2'").count() == 111 and found.where("keyword = 'zz'").count() == 0
