@@ -1,0 +1,19 @@
+"""Queries that return the texts themselves, against their SQL on the smallest tables."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+import check
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
+@pytest.mark.parametrize("name", ["candidate_pairs", "pair_context"])
+def test_pairs_come_with_their_context(spark, name):
+    df = entry.queries()[name](spark, SF)
+    assert dict(df.dtypes)["context"] == "string"
+    ok, line = check.compare(spark, check.duck(SF), SF, name)
+    assert ok, line
